@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows of text a Python worker is sent at once; bounds its memory whatever the table's size.
 ROWS_PER_BATCH = 512
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Bounds Arrow batches by rows unless the session has been given a smaller bound."""
+    """Bounds Arrow batches by rows unless the session has been given a smaller bound, and lets Python workers
+    that have the package at the driver's path import it (elsewhere, submit it with --py-files)."""
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH")]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
