@@ -13,5 +13,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_packing": op9_packing}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_language": op4_language, "op7_decontamination": op7_decontamination, "op9_packing": op9_packing}
 SQL: dict[str, str] = {}

@@ -54,3 +54,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; fold 1 is held out of all learning."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+#: Rows of ids that may be broadcast: about 100 MB as a hash table.
+BROADCAST_IDS = 2_000_000
+
+
+def hinted(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if its counted rows are few; else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose id isn't among ids (a written table)."""
+    return df.join(hinted(ids.select(column)), column, "left_anti").select(df.columns)
