@@ -25,5 +25,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_language": op4_language, "op7_decontamination": op7_decontamination, "op9_packing": op9_packing}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    "op5_toxicity": op5_toxicity,
+    "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op9_packing": op9_packing}
 SQL: dict[str, str] = {}

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, words
 
 BITS = 20
-_WORD = re.compile(r"[^\W\d_]+")
+PREFIXES = (4, 5)
 
 
-def features(text: str | None) -> dict[str, None]:
-    """The distinct words of the text in lower case, and their first five letters."""
-    found = set(_WORD.findall(text.lower())) if text else set()
-    return found | {w[:5] + "-" for w in found if len(w) > 5}
-
-
-def _names(found: set[str]) -> np.ndarray:
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass")) >> (32 - BITS) for f in found), np.int32, len(found)))
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Which features texts have, as pairs of a text's place and a feature's name, each pair once: the words in
+    lower case and, of longer ones, the first 4 and 5 bytes. Names are the top BITS bits of their hashes."""
+    w = words.words(texts, "folded")
+    doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    docs, names = [doc], [w.hash]
+    for n in PREFIXES:
+        at, h = words.prefixes(w, n)
+        docs.append(doc[at])
+        names.append(h)
+    return np.concatenate(docs), (np.concatenate(names) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Model(NamedTuple):
@@ -47,7 +48,8 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "names": [_names(features(t)).tobytes() for t in batch["text"]]})
+            names = [np.unique(features([t])[1]).astype(np.int32).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "names": names})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("toxic", "text")
     found = rows.mapInPandas(run, "toxic int, names binary").toPandas()
@@ -55,7 +57,7 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     return [(int(t), np.frombuffer(x, np.int32)) for t, x in zip(found["toxic"], found["names"])], (toxic / n if n else 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12000, used: int = 4096, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12000, used: int = 1024, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """A linear classifier of the presence of words that minimises the non-negative PU risk
 
         prior * mean_P loss(+) + max(0, mean_U loss(-) - prior * mean_P loss(-)),
@@ -116,15 +118,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         names, values, bias = sent
         weight = np.zeros(1 << BITS)
         weight[names] = values
-        known: dict[str, int] = {}  # words' names, for as many as a worker meets again
-
         for batch in batches:
-            out = np.empty(len(batch))
-            for i, text in enumerate(batch["text"]):
-                total = bias
-                if text:
-                    total += weight[_names(features(text))].sum()
-                out[i] = 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))
+            total, texts = np.full(len(batch), bias), batch["text"].tolist()
+            for a, b in words.blocks([len(t or "") for t in texts]):
+                doc, name = features(texts[a:b])
+                on = np.flatnonzero(weight[name])
+                pair = np.unique(doc[on] << BITS | name[on])
+                total[a:b] += np.bincount(pair >> BITS, weight[pair & ((1 << BITS) - 1)], minlength=b - a)
+            out = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": out, "predicted": (out >= threshold).astype(np.int32)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (shared.fold(F.col("doc_id")) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -86,6 +86,17 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def prefixes(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of over n bytes, as their places in w, and hashes of their first n bytes."""
+    at = np.flatnonzero(w.end - w.start > n)
+    raw, start = np.frombuffer(w.buffer, np.uint8), w.start[at]
+    out = np.full(len(at), n, np.uint64)
+    for j in range(n):
+        out *= np.uint64(_BASE)
+        out += _BYTE[raw[start + j]]
+    return at, mix(out)
+
+
 def shingles(w: Words, i: int, k: int, all_grams: np.ndarray) -> np.ndarray:
     """The sorted distinct k-word shingles of text i; of a shorter text the one run of all its words."""
     a, b = w.first[i], w.first[i + 1]
