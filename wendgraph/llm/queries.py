@@ -13,6 +13,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import matches
 
@@ -33,6 +39,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_toxicity": op5_toxicity,
     "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op9_packing": op9_packing}
 SQL: dict[str, str] = {}
