@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, preference
 from .shared import table
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.pairs(preference.with_borrowed_replies(table(spark, sf_dir, "conversations")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
@@ -39,7 +54,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_media": op8_media,
+    "op2_licenses": op2_licenses,
+    "op10_preference": op10_preference,
     "op3_pii": op3_pii,
     "op5_toxicity": op5_toxicity,
     "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op9_packing": op9_packing}
-SQL: dict[str, str] = {}
+SQL = {"op2_licenses": licenses.sql(), "op10_preference": preference.sql()}
