@@ -107,6 +107,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     return Model(weight, float(b))
 
 
+def _dense(names: np.ndarray, values: np.ndarray) -> np.ndarray:
+    weight = np.zeros(1 << BITS)
+    weight[names] = values
+    return weight
+
+
+def _scores(texts: list[str | None], weight: np.ndarray, bias: float) -> np.ndarray:
+    total = np.full(len(texts), bias)
+    for a, b in words.blocks([len(t or "") for t in texts]):
+        doc, name = features(texts[a:b])
+        on = np.flatnonzero(weight[name])
+        pair = np.unique(doc[on] << BITS | name[on])
+        total[a:b] += np.bincount(pair >> BITS, weight[pair & ((1 << BITS) - 1)], minlength=b - a)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row: the whole text is scored, and nothing but the text. A null
     or empty text has the score of the bias alone. Repeated rows each get their row."""
@@ -115,18 +131,25 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     sent = (kept.astype(np.int32), model.weight[kept], model.bias)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, values, bias = sent
-        weight = np.zeros(1 << BITS)
-        weight[names] = values
+        weight = _dense(*sent[:2])
         for batch in batches:
-            total, texts = np.full(len(batch), bias), batch["text"].tolist()
-            for a, b in words.blocks([len(t or "") for t in texts]):
-                doc, name = features(texts[a:b])
-                on = np.flatnonzero(weight[name])
-                pair = np.unique(doc[on] << BITS | name[on])
-                total[a:b] += np.bincount(pair >> BITS, weight[pair & ((1 << BITS) - 1)], minlength=b - a)
-            out = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            out = _scores(batch["text"].tolist(), weight, sent[2])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": out, "predicted": (out >= threshold).astype(np.int32)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (shared.fold(F.col("doc_id")) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of documents whose score is below the threshold, all columns kept; null and empty texts are judged by the
+    bias alone, as in `score`."""
+    shared.small_batches(docs.sparkSession)
+    kept = np.flatnonzero(model.weight)
+    sent = (kept.astype(np.int32), model.weight[kept], model.bias)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weight = _dense(*sent[:2])
+        for batch in batches:
+            yield pd.Series(_scores(batch.tolist(), weight, sent[2]) < threshold)
+
+    return docs.where(F.pandas_udf(run, "boolean")(F.col("text").cast("string")))
