@@ -49,10 +49,9 @@ class Compiler:
     def compile(self, plan: Plan) -> DataFrame:
         plan = self._compat(plan) if self.compat else plan.bound()
         df, kinds = self._walk(plan)
-        if self.compat:
-            df = df.na.fill("", [c for c, t in df.dtypes if t == "string"])
         names = list(dict.fromkeys(r.name for r in plan.returns))
-        return df.select(*[F.col(f"`{n}`") for n in names])
+        value = lambda n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) if self.compat else F.col(f"`{n}`")
+        return df.select(*[value(n).alias(n) for n in names])
 
     def counts(self, plan: Plan) -> DataFrame:
         """id (native key) of the last node and n_walks. Between hops, walks that stand at one node are one row with their

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,15 @@ class GraphStore:
     @classmethod
     def open(cls, spark: SparkSession, path: str, node_id: int = 1) -> GraphStore:
         """The store saved under a path."""
-        return cls(spark, spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"), node_id)
-
-    def save(self, path: str, mode: str = "append") -> None:
-        """Writes the logs: nodes, and edges partitioned by label so that a hop reads its label's files only."""
-        self.node_log.write.mode(mode).parquet(f"{path}/nodes")
-        self.edge_log.repartition("label", "src").sortWithinPartitions("label", "src", "weight").write.mode(mode).partitionBy("label").parquet(f"{path}/edges")
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}").select(schema.names)
+        return cls(spark, read("nodes", NODES), read("edges", EDGES), node_id)
+
+    def save(self, path: str) -> None:
+        """Appends the logs as one batch: nodes, and edges in a folder for each label, so that a hop reads its label's only."""
+        batch = f"batch=save-{uuid4().hex}"
+        self.node_log.write.parquet(f"{path}/nodes/{batch}")
+        ordered = self.edge_log.repartition("label", "src").sortWithinPartitions("label", "src", "weight")
+        ordered.write.partitionBy("label").parquet(f"{path}/edges/{batch}")
 
     def save_tables(self, nodes: str, edges: str, buckets: int = 200) -> None:
         """Writes the current view as bucketed tables, by uuid and src, so that hops join without a shuffle of edges."""

@@ -40,6 +40,7 @@ def _ingest(stream: DataFrame, path: str, columns: list, checkpoint: str, trigge
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.select(*columns, *[c for c in ("ts",) if c in batch.columns])
-        stamped(rows, number, clock).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        writer = stamped(rows, number, clock).write.mode("overwrite")
+        (writer.partitionBy("label") if "label" in rows.columns else writer).parquet(f"{path}/batch=stream-{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
