@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import tarfile
 import uuid
 import zlib
@@ -20,8 +19,8 @@ from . import shared
 ROW = 64  # a PNG's width: payloads are whole rows of 8-bit samples
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # bytes of a PNG up to the end of its IHDR chunk
-#: Document ids that one row of the shuffle carries, so that a digest of very many copies is spread over rows.
-IDS = 4096
+#: Payloads whose places a worker remembers.
+PLACES = 500_000
 #: Payload bytes of a shard, about; a larger partition writes more shards.
 SHARD_BYTES = 256 << 20
 
@@ -40,7 +39,7 @@ def to_png(samples: bytes) -> bytes:
     rows = np.frombuffer(samples, np.uint8).reshape(-1, ROW)
     raw = np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1).tobytes()
     head = ROW.to_bytes(4, "big") + len(rows).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw, 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw, 6)) + _chunk(b"IEND", b"")
 
 
 def png_size(header: bytes) -> tuple[int, int, int]:
@@ -90,67 +89,44 @@ class _Shard:
 
 
 def store(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes each different payload once, as a PNG in a tar shard under `folder`, and returns the rows: doc_ids (up to IDS
-    of them), digest (sha256 of the PNG), n_bytes, shard, offset, length.
+    """Writes the payloads, as PNGs, to tar shards under `folder` and returns one row per document: doc_id, digest (sha256 of
+    the PNG, which also names it in the shard), n_bytes, shard, offset, length.
 
-    A partition's copies are gathered before the shuffle, so a payload that a third of all rows have crosses it
-    once a partition, with its ids in rows of IDS. Rows are shuffled and sorted by digest and written as they
-    come; nothing is held but one row. Null and empty texts are ROW zero bytes.
+    A partition writes shards of its own, each different payload once, so payloads are never shuffled, and one that
+    a third of all rows have is stored once a partition. A worker holds one batch and the places of up to PLACES
+    payloads; past that it forgets them and may store a payload again. Null and empty texts are ROW zero bytes.
     """
     shared.small_batches(docs.sparkSession)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each digest's first row has the PNG; later ones of this partition only ids."""
-        sent: set[bytes] = set()
-        waiting: dict[bytes, tuple[int, list]] = {}
-
-        def rows(items: list) -> pd.DataFrame:
-            return pd.DataFrame(items, columns=["digest", "n_bytes", "doc_ids", "png"])
-
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"]):
-                doc = None if doc is pd.NA else doc
-                size = len((text or "").encode("utf-8", "surrogatepass"))
-                png = to_png(payload(text))
-                digest = hashlib.sha256(png).digest()
-                if digest not in sent:
-                    if len(sent) < 1_000_000:
-                        sent.add(digest)
-                    out.append((digest, size, [doc], png))
-                else:
-                    ids = waiting.setdefault(digest, (size, []))[1]
-                    ids.append(doc)
-                    if len(ids) == IDS:
-                        out.append((digest, size, waiting.pop(digest)[1], None))
-            if sum(len(ids) for _, ids in waiting.values()) > 1_000_000:
-                out += [(d, n, ids, None) for d, (n, ids) in waiting.items()]
-                waiting.clear()
-            yield rows(out)
-        yield rows([(d, n, ids, None) for d, (n, ids) in waiting.items()])
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, last, place = None, None, ("", 0, 0)
+        shard, places = None, {}
         for batch in batches:
             out = []
-            for digest, n, ids, png in batch.itertuples(index=False):
-                if digest != last:
+            for text in batch["text"]:
+                samples = payload(text)
+                raw = hashlib.sha256(samples).digest()
+                if raw not in places:
+                    png = to_png(samples)
+                    digest = hashlib.sha256(png).digest()
+                    if shard is not None and shard.at > SHARD_BYTES:
+                        shard.close()
+                        shard = None
                     if shard is None:
                         shard = _Shard(folder)
+                    if len(places) >= PLACES:
+                        places.clear()
                     name = digest.hex()
-                    last, place = digest, (shard.uri, shard.add(name[:2] + "/" + name + ".png", png), len(png))
-                out.append((ids, digest, n, *place))
-                if shard.at > SHARD_BYTES:
-                    shard.close()
-                    shard = None
-            yield pd.DataFrame(out, columns=["doc_ids", "digest", "n_bytes", "shard", "offset", "length"])
+                    places[raw] = (digest, shard.uri, shard.add(f"{name[:2]}/{name}.png", png), len(png))
+                digest, *place = places[raw]
+                out.append((digest, len((text or "").encode("utf-8", "surrogatepass")), *place))
+            df = pd.DataFrame(out, columns=["digest", "n_bytes", "shard", "offset", "length"])
+            df.insert(0, "doc_id", batch["doc_id"])
+            yield df
         if shard is not None:
             shard.close()
 
-    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(encode, "digest binary, n_bytes long, doc_ids array<long>, png binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartition(n, "digest").sortWithinPartitions("digest", F.col("png").isNull())
-    return ordered.mapInPandas(write, "doc_ids array<long>, digest binary, n_bytes long, shard string, offset long, length long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInPandas(write, "doc_id long, digest binary, n_bytes long, shard string, offset long, length long")
 
 
 def headers(stored: DataFrame) -> DataFrame:
@@ -194,19 +170,19 @@ def features(stored: DataFrame) -> DataFrame:
     columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, values = None, ()
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            docs, out = [], []
-            for ids, digest, n, width, height, png in zip(batch["doc_ids"], batch["digest"], batch["n_bytes"], batch["width"], batch["height"], _ranges(batch["shard"], batch["offset"], batch["length"])):
-                if digest != last:
-                    if hashlib.sha256(png).digest() != digest:
-                        raise OSError("a stored payload differs from its digest")
-                    samples = from_png(png)
-                    last, values = digest, (n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(png), digest.hex(), feature(samples), width, height)
-                docs += [None if x is None or x != x else int(x) for x in ids]
-                out += [values] * len(ids)
-            df = pd.DataFrame(out, columns=columns)
-            df.insert(0, "doc_id", pd.array(docs, "Int64"))
+            new = ~batch["digest"].isin(known.keys()) & ~batch["digest"].duplicated()
+            if len(known) > 10 * len(batch):
+                known, new = {}, ~batch["digest"].duplicated()
+            fresh = batch[new]
+            for digest, n, width, height, png in zip(fresh["digest"], fresh["n_bytes"], fresh["width"], fresh["height"], _ranges(fresh["shard"], fresh["offset"], fresh["length"])):
+                if hashlib.sha256(png).digest() != digest:
+                    raise OSError("a stored payload differs from its digest")
+                samples = from_png(png)
+                known[digest] = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(png), digest.hex(), feature(samples), width, height)
+            df = pd.DataFrame([(n, *known[d]) for d, n in zip(batch["digest"], batch["n_bytes"])], columns=columns)
+            df.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield df
 
     return headers(stored).mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
