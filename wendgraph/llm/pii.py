@@ -169,13 +169,15 @@ def _labels(t: Tokens, text: str, spans: list[tuple[str, int, int]], weak: bool)
     return out
 
 
-def train(docs: DataFrame, sample: int = 2000, steps: int = 150, seed: str = "pii") -> Field:
+def train(docs: DataFrame, sample: int = 2000, steps: int = 150) -> Field:
     """The field's weights by maximum pseudo-likelihood: each node's label given its features and its neighbours'
     labels. Labels are the base patterns' and, for secrets, assignments to a telling name; what the second
     kind was told by stays visible in half of the rows only, so that shape and tied nodes count too. Learned
-    from a bounded sample of `sample` documents with a digit or @, chosen by a hash of their id and text."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("h"))
-    chosen = rows.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20000)).orderBy("h", "text").limit(sample).collect()
+    from a bounded sample: of 8 * `sample` documents, chosen by a hash of id and text, the first `sample` with a
+    digit or @ and at most 20,000 characters."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    looked_at = shared.hashed_sample(rows, 8 * sample, rows.count(), "doc_id", "text")
+    chosen = looked_at.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20000)).limit(sample).collect()
     k = len(LABELS)
     features, labels, chains, skips, n = [], [], [], [], 0
     for i, r in enumerate(chosen):

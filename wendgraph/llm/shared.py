@@ -68,3 +68,12 @@ def hinted(ids: DataFrame) -> DataFrame:
 def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of df whose id isn't among ids (a written table)."""
     return df.join(hinted(ids.select(column)), column, "left_anti").select(df.columns)
+
+
+def hashed_sample(df: DataFrame, rows: int, total: int, *columns: str) -> DataFrame:
+    """At most `rows` rows, chosen by a hash of the columns. total: how many there are; of many, all but about twice the
+    wanted number are passed over before the sort, so no task and no driver sees more than that."""
+    h = F.xxhash64(*columns, F.lit("sample"))
+    if total > 2 * rows:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * rows / total))
+    return df.orderBy(h, *columns).limit(rows)

@@ -40,10 +40,10 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     learned = labels.where((shared.fold(F.col("doc_id")) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = learned.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    p = known.where("toxic = 1").orderBy(order, "doc_id").limit(positives)
+    p = shared.hashed_sample(known.where("toxic = 1"), positives, toxic, "doc_id")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where((shared.fold(F.col("doc_id")) != 1) & F.col("doc_id").isNotNull())
-    u = ids.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic")).orderBy(order, "doc_id").limit(unlabelled)
+    u = ids.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic"))
+    u = shared.hashed_sample(u, unlabelled, u.count(), "doc_id")
     wanted = F.broadcast(p.unionByName(u))  # at most positives + unlabelled rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
