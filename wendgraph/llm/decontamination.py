@@ -125,6 +125,7 @@ def _block(docs: DataFrame, items: DataFrame, coverage: float, least: int) -> Da
                         out.append((docs_[a + doc], ids[i], len(x), done, len(marked), done / len(x)))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
+        shared.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
 

@@ -53,6 +53,7 @@ def _texts(docs: DataFrame, k: int) -> DataFrame:
                     s = words.shingles(w, i, k, g)
                     out.append(signature(s).view(np.int64).tolist() if len(s) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "sig": out})
+        shared.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("key", F.sha2("text", 256)).mapInPandas(run, "doc_id long, key string, sig array<long>")
@@ -111,6 +112,8 @@ def candidates(nodes: DataFrame, tables: int, first_bits: int, most: int, distan
                 held = df.iloc[cut:]
         if held is not None:
             yield _near(held, distance)
+        held = None
+        shared.release()
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = spread.repartition(n, "t", "d", "part").sortWithinPartitions("t", "d", "part", "rep")

@@ -25,7 +25,7 @@ class ByteTokenizer:
     kept, found by the piece's hash, up to `most` pieces. Texts with other blanks are encoded whole, as are
     pieces of over 64 bytes. Special tokens' strings count as ordinary text."""
 
-    def __init__(self, ranks_path: str, most: int = 2_000_000) -> None:
+    def __init__(self, ranks_path: str, most: int = 500_000) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -160,7 +160,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 200)
 
 
-def gathered(batches: Iterator[pd.DataFrame], most: int = 1 << 23) -> Iterator[tuple[list, list[str]]]:
+def gathered(batches: Iterator[pd.DataFrame], most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of some batches at a time, about `most` characters."""
     docs, texts, size = [], [], 0
     for batch in batches:
@@ -236,5 +236,6 @@ def pack(docs: DataFrame, capacity: int = 2048, piece: int = 512, block: int = 1
                 yield frame(out)
         if waiting:
             yield frame(packed(waiting))
+        shared.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)

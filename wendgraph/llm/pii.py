@@ -283,6 +283,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     at = max(at, b)
                 out.append("".join([*parts, text[at:]]))
             yield pd.Series(out, dtype=object)
+        shared.release()
 
     out = docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text").cast("string")))
     if counted:

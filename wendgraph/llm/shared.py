@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -77,3 +79,16 @@ def hashed_sample(df: DataFrame, rows: int, total: int, *columns: str) -> DataFr
     if total > 2 * rows:
         df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * rows / total))
     return df.orderBy(h, *columns).limit(rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the system at a task's end: a Python worker goes on to other tasks beside a JVM that
+    needs it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -37,6 +37,7 @@ class Model(NamedTuple):
 def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[list[tuple[int, np.ndarray]], float]:
     """Bounded samples, by a hash of the id, of confirmed toxic and of unlabelled rows outside the held-out
     fold, as (1 or 0, features); and the share of toxic rows among the labelled ones of these folds."""
+    shared.small_batches(docs.sparkSession)
     learned = labels.where((shared.fold(F.col("doc_id")) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = learned.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -151,5 +152,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         weight = _dense(*sent[:2])
         for batch in batches:
             yield pd.Series(_scores(batch.tolist(), weight, sent[2]) < threshold)
+        shared.release()
 
     return docs.where(F.pandas_udf(run, "boolean")(F.col("text").cast("string")))
