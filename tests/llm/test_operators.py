@@ -240,6 +240,25 @@ def test_preferences(spark):
     assert preference.pairs(preference.with_borrowed_replies(empty)).count() == 0
 
 
+def test_every_conversation_has_its_pair(spark):
+    roles = {1: "ua", 4: "uau", 5: "u", 9: "s", 40: "uaua", 41: "a", 1000: "aus", -7: "uaa", 2000: "u", 10**12: "ua"}
+    name = {"u": "user", "a": "assistant", "s": "system"}
+    rows = [(i, k, name[c], f"{i}-{k}") for i, cs in roles.items() for k, c in enumerate(cs)] + [(None, 0, "assistant", "x"), (50, 0, None, None)]
+    got = {r["pair_id"]: r for r in preference.with_borrowed_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    roles[50] = " "
+    assert got.keys() == roles.keys()
+    replying = sorted(i for i in roles if "a" in roles[i])
+    for i, r in got.items():
+        assert [t["text"] for t in r["chosen"]] == [f"{i}-{k}" if c != " " else "" for k, c in enumerate(roles[i])]
+        if i not in replying or i == replying[-1]:
+            assert r["rejected"] is None
+            continue
+        j, at = replying[replying.index(i) + 1], roles[i].rindex("a")
+        want = [f"{i}-{k}" for k in range(len(roles[i]))]
+        want[at] = f"{j}-{roles[j].rindex('a')}"
+        assert [t["text"] for t in r["rejected"]] == want and [t["role"] for t in r["rejected"]] == [t["role"] for t in r["chosen"]]
+
+
 def test_words():
     w = words.words(["A b, c", None, "", "a B c"], "folded")
     assert w.first.tolist() == [0, 3, 3, 3, 6] and (w.hash[:3] == w.hash[3:]).all()

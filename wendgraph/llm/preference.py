@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: A turn is written as OPEN role CLOSE text END.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -49,20 +51,38 @@ def pairs(both: DataFrame) -> DataFrame:
     return head.select("pair_id", F.col("n").cast("long").alias("n_prompt_turns"), _rendered(F.col("p")).alias("prompt"), _rendered(F.col("c")).alias("chosen"), _mask(F.col("c")).alias("chosen_mask"), _rendered(F.col("r")).alias("rejected"), _mask(F.col("r")).alias("rejected_mask"))
 
 
+def _following(replies: DataFrame) -> DataFrame:
+    """conv_id and next_id, the next larger conv_id of the table; none for the last. Ids are put in ranges, each looked
+    through by its own task, and a range's last id is followed by the least one of the next range that has any."""
+    spark = replies.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = shared.written(replies.select("conv_id").repartitionByRange(n, "conv_id").withColumn("part", F.spark_partition_id()), "reply-ids")
+    inside = ids.withColumn("next_id", F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id")))
+    firsts = ids.groupBy("part").agg(F.min("conv_id").alias("first"))
+    firsts = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("after"))  # a row per range
+    both = inside.join(F.broadcast(firsts), "part").select("conv_id", F.coalesce("next_id", "after").alias("next_id"))
+    return both.where("next_id is not null")
+
+
 def with_borrowed_replies(rows: DataFrame) -> DataFrame:
-    """Pairs for a table that has no rejected conversations: a conversation that ends in a reply is chosen; the rejected
-    one has the same turns but, for that last one, the last reply of the conversation with the next conv_id."""
+    """Pairs for a table that has no rejected conversations, one for each conv_id: the conversation is chosen; the rejected
+    one has the same turns but, for its last reply, the last reply of the next larger conv_id that has one. Turns
+    after that reply stay on both sides. A conversation without a reply, or with none to borrow after it, has
+    a null rejected side."""
+    last = F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))
     conv = conversations(rows)
-    last = F.element_at("turns", -1)
-    ended = conv.where(last["role"] == "assistant")
-    replies = conv.select((F.col("conv_id") - 1).alias("conv_id"), F.filter("turns", lambda t: t["role"] == "assistant").alias("replies")).where(F.size("replies") > 0)
-    joined = ended.join(replies.select("conv_id", F.element_at("replies", -1).alias("other")), "conv_id")
-    before = F.slice("turns", F.lit(1), F.size("turns") - 1)
-    return joined.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(before, F.array("other")).alias("rejected"))
+    replies = conv.select("conv_id", last.alias("other")).where("other is not null")
+    others = _following(rows.where("conv_id is not null and role = 'assistant'").select(F.col("conv_id").cast("long").alias("conv_id")).distinct())
+    others = others.join(replies.withColumnRenamed("conv_id", "next_id"), "next_id").select("conv_id", "other")
+    at = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant").cast("int") + 1
+    joined = conv.join(others, "conv_id", "left").withColumn("at", at)
+    swapped = F.concat(F.slice("turns", F.lit(1), F.col("at") - 1), F.array("other"), F.slice("turns", F.col("at") + 1, F.size("turns")))
+    return joined.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.when(F.col("other").isNotNull(), swapped).alias("rejected"))
 
 
 def sql() -> str:
-    """with_borrowed_replies and pairs in DuckDB's SQL."""
+    """pairs in DuckDB's SQL, over narrower pairs than with_borrowed_replies': only of conversations that end in a reply and
+    whose conv_id + 1 has one."""
     render = lambda x: f"coalesce(array_to_string([concat('{OPEN}', t.role, '|>', chr(10), t.text, '<|end|>', chr(10)) FOR t IN {x}], ''), '')"
     size = f"length(u.role) + {len(OPEN) + len(CLOSE)} + length(u.text) + {len(END)}"
 
