@@ -81,6 +81,31 @@ def test_near_duplicates_are_the_components_of_the_similar(spark):
     assert sum(split[k] != root(k) for k in sets) <= 0.05 * len(sets)
 
 
+def nodes_of_one_bucket(n):
+    """n signatures that agree in the first table's first 16 coordinates and differ by 128 bits on average else."""
+    rng = np.random.default_rng(n)
+    bits = rng.integers(0, 2, (n, neardup.BITS), np.uint8)
+    bits[:, neardup.coordinates(1)[0][:16]] = 0
+    return rng, bits
+
+
+def frame_of(spark, bits):
+    sig = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return spark.createDataFrame(pd.DataFrame({"rep": np.arange(len(bits)) * 3} | {f"s{i}": sig[:, i] for i in range(4)}))
+
+
+def test_oversized_buckets_keep_every_pair(spark):
+    rng, bits = nodes_of_one_bucket(300)
+    free = np.setdiff1d(np.arange(neardup.BITS), neardup.coordinates(1)[0][:16])
+    for i in range(100, 300):  # two copies of each of the first hundred, with flips outside the bucket's name
+        bits[i] = bits[i % 100]
+        bits[i, rng.choice(free, rng.integers(0, 50), replace=False)] ^= 1
+    want = {(3 * a, 3 * b, d) for a in range(300) for b in range(a + 1, 300) if (d := int((bits[a] != bits[b]).sum())) <= 64}
+    for most in (16, 299, 300):
+        got = neardup.candidates(frame_of(spark, bits), 2, 16, most, 64).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want, most
+
+
 def test_licenses(spark):
     mit = "\n".join(f"// {licenses.SENTENCES[k]}" for k in ("mit_grant", "mit_notice", "mit_warranty", "mit_liability"))
     wrapped = licenses.SENTENCES["bsd_source"].replace(" this list", "\nthis list")

@@ -29,7 +29,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def coordinates(tables: int) -> np.ndarray:
-    """Each table's 64 sampled coordinates: the first ones name its buckets, the others split oversized buckets."""
+    """Each table's 64 sampled coordinates, of which the first ones name its buckets."""
     return np.stack([np.random.Generator(np.random.PCG64([7, t])).permutation(BITS)[:64] for t in range(tables)])
 
 
@@ -62,17 +62,13 @@ def _texts(docs: DataFrame, k: int) -> DataFrame:
 _SIG = ["s0", "s1", "s2", "s3"]
 
 
-def _far(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(4)), F.lit(0))
-
-
 def candidates(nodes: DataFrame, tables: int, first_bits: int, most: int, distance: int) -> DataFrame:
     """Pairs a < b, each once, with their distance, of nodes (rep, s0 to s3) that share a bucket and differ in `distance` bits
     at most.
 
-    A bucket of more than `most` nodes is split by as many additional coordinates as bring its parts down to about
-    that, and each of its nodes is held against the bucket's least node too. A part that stays larger, as its
-    nodes agree in all 64 coordinates, is gone through in blocks, each with the first node of the one before it.
+    A bucket of more than `most` nodes is cut by a hash of rep into blocks of about that many, and every block is
+    compared with itself and with every other one, each two in a part of their own, so that no pair of the
+    bucket is left out and no part holds more than about 2 * `most` nodes. Its rows are copied once for each block.
     """
     coords = coordinates(tables)
 
@@ -86,14 +82,13 @@ def candidates(nodes: DataFrame, tables: int, first_bits: int, most: int, distan
 
     rows = nodes.mapInPandas(rows_of, "t int, k long, rep long, s0 long, s1 long, s2 long, s3 long")
     bucket = F.shiftrightunsigned("k", 64 - first_bits).alias("bucket")
-    sizes = rows.groupBy("t", bucket).agg(F.count("*").alias("n"), F.min_by(F.struct("rep", *_SIG), "rep").alias("p")).where(F.col("n") > most)
-    hot = shared.written(sizes.select("t", "bucket", "n", F.col("p.rep").alias("p_rep"), *[F.col(f"p.{c}").alias(f"p{i}") for i, c in enumerate(_SIG)]), "hot-buckets")
+    sizes = rows.groupBy("t", bucket).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = shared.written(sizes.select("t", "bucket", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "hot-buckets")
     rows = rows.withColumn("bucket", bucket).join(shared.hinted(hot), ["t", "bucket"], "left")
-    extra = F.least(F.lit(64), F.lit(first_bits) + F.ceil(F.log2(F.col("n") / most)).cast("int"))
-    deeper = F.expr(f"shiftrightunsigned(k, 64 - least(64, {first_bits} + cast(ceil(log2(n / {most})) as int)))")
-    part = F.when(F.col("n").isNull(), F.col("bucket")).otherwise(deeper)
-    depth = F.coalesce(extra, F.lit(first_bits)).cast("int")
-    spread = rows.select("t", depth.alias("d"), part.alias("part"), "rep", *_SIG)
+    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep", "t"), F.col("blocks"))).cast("int")
+    others = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    spread = rows.select("t", "bucket", own.alias("x"), others, "rep", *_SIG)
+    spread = spread.select("t", "bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("later"), "rep", *_SIG)
 
     def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -105,45 +100,57 @@ def candidates(nodes: DataFrame, tables: int, first_bits: int, most: int, distan
             new = _new_part(df)
             cut = int(np.flatnonzero(new)[-1])
             if cut == 0:  # one part alone: its nodes so far, then its first one with the rest
-                yield _near(df, distance)
+                yield from _near(df, distance)
                 held = df.iloc[:1]
             else:
-                yield _near(df.iloc[:cut], distance)
+                yield from _near(df.iloc[:cut], distance)
                 held = df.iloc[cut:]
         if held is not None:
-            yield _near(held, distance)
+            yield from _near(held, distance)
         held = None
         shared.release()
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spread.repartition(n, "t", "d", "part").sortWithinPartitions("t", "d", "part", "rep")
+    ordered = spread.repartition(n, *_PART).sortWithinPartitions(*_PART, "later", "rep")
     found = ordered.mapInPandas(pairs_of, "a long, b long, far int")
-    stars = rows.where("n is not null").withColumns({"far": _far("s", "p")}).where((F.col("far") <= distance) & (F.col("rep") > F.col("p_rep")))
-    found = found.unionByName(stars.select(F.col("p_rep").alias("a"), F.col("rep").alias("b"), F.col("far").cast("int")))
     return found.groupBy("a", "b").agg(F.min("far").alias("far"))
 
 
+_PART = ["t", "bucket", "i", "j"]
+
+
 def _new_part(df: pd.DataFrame) -> np.ndarray:
-    x = df[["t", "d", "part"]].to_numpy(np.int64)
+    x = df[_PART].to_numpy(np.int64)
     return np.append(True, (x[1:] != x[:-1]).any(axis=1))
 
 
-def _near(df: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Pairs within parts at most `distance` apart: all rows against the ones 1, 2, 3, ... further on."""
+def _near(df: pd.DataFrame, distance: int, most: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    """Pairs within parts at most `distance` apart: all rows against the ones 1, 2, 3, ... further on, in a part of two
+    blocks only those of one block against the other's. About `most` pairs at a time."""
     part = np.cumsum(_new_part(df))
     rep, s = df["rep"].to_numpy(), df[_SIG].to_numpy(np.int64).view(np.uint64)
+    one, later = (df["i"] == df["j"]).to_numpy(), df["later"].to_numpy()
     at = np.arange(len(df))
-    out = []
+    out, size = [], 0
     d = 1
     while True:
         at = at[at + d < len(df)]
         at = at[part[at] == part[at + d]]
         if not len(at):
             break
-        far = np.bitwise_count(s[at] ^ s[at + d]).sum(axis=1, dtype=np.int32)
+        x = at[one[at] | (later[at] != later[at + d])]
+        far = np.bitwise_count(s[x] ^ s[x + d]).sum(axis=1, dtype=np.int32)
         hit = far <= distance
-        out.append(np.stack([rep[at[hit]], rep[at[hit] + d], far[hit]], axis=1))
+        out.append(np.stack([rep[x[hit]], rep[x[hit] + d], far[hit]], axis=1))
+        size += len(out[-1])
+        if size >= most:
+            yield _pairs(out)
+            out, size = [], 0
         d += 1
+    yield _pairs(out)
+
+
+def _pairs(out: list[np.ndarray]) -> pd.DataFrame:
     x = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
     x = x[x[:, 0] != x[:, 1]]
     return pd.DataFrame({"a": np.minimum(x[:, 0], x[:, 1]), "b": np.maximum(x[:, 0], x[:, 1]), "far": x[:, 2].astype(np.int32)})
