@@ -106,6 +106,18 @@ def test_oversized_buckets_keep_every_pair(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want, most
 
 
+def test_large_parts_are_compared_whole(spark):
+    neardup.shared.small_batches(spark)
+    rng, bits = nodes_of_one_bucket(17000)
+    bits[:, neardup.coordinates(1)[0]] = 0  # they agree in all sampled coordinates
+    for a, b in ((5, 16900), (100, 16400), (16390, 16800)):
+        bits[b] = bits[a]
+        bits[b, rng.choice(np.setdiff1d(np.arange(neardup.BITS), neardup.coordinates(1)[0]), 30, replace=False)] ^= 1
+    want = {(15, 50700, 30), (300, 49200, 30), (49170, 50400, 30)}
+    got = {tuple(r) for r in neardup.candidates(frame_of(spark, bits), 2, 16, 1 << 20, 40).collect()}
+    assert want <= got
+
+
 def test_licenses(spark):
     mit = "\n".join(f"// {licenses.SENTENCES[k]}" for k in ("mit_grant", "mit_notice", "mit_warranty", "mit_liability"))
     wrapped = licenses.SENTENCES["bsd_source"].replace(" this list", "\nthis list")

@@ -97,14 +97,10 @@ def candidates(nodes: DataFrame, tables: int, first_bits: int, most: int, distan
             if len(df) < 16384:
                 held = df
                 continue
-            new = _new_part(df)
-            cut = int(np.flatnonzero(new)[-1])
-            if cut == 0:  # one part alone: its nodes so far, then its first one with the rest
-                yield from _near(df, distance)
-                held = df.iloc[:1]
-            else:
+            cut = int(np.flatnonzero(_new_part(df))[-1])  # a part is compared once all of it is there
+            if cut:
                 yield from _near(df.iloc[:cut], distance)
-                held = df.iloc[cut:]
+            held = df.iloc[cut:]
         if held is not None:
             yield from _near(held, distance)
         held = None
