@@ -251,6 +251,19 @@ def test_packing(spark, odd):
         assert g.length.sum() <= 2048 and g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
 
 
+def test_added_tokens_are_those_of_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {x.content: i for i, x in t.get_added_tokens_decoder().items()} == packing.SPECIAL
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, f" {e}", f"{e}{e}", f"one two{e}three four", f"a  b {e}\n c", f"{e} x", f"a{e[:-1]} b", "a b", f"{'y' * 90} {e}"]
+    own = packing.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for _ in range(2):
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_differencing():
     rng = random.Random(10)
     for k in (1, 2, 7, 30):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 END = (1).to_bytes(4, "little")
+#: byte_bpe_50k.json's added tokens; none of them takes the blanks beside it.
+SPECIAL = {"<|endoftext|>": 50256}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -23,7 +25,7 @@ class ByteTokenizer:
     """Ids of byte_bpe_50k.json. Between two other characters, a single blank always begins a new piece of the
     pre-tokenizer's pattern, so texts are cut there; each different piece is encoded once and its ids are
     kept, found by the piece's hash, up to `most` pieces. Texts with other blanks are encoded whole, as are
-    pieces of over 64 bytes. Special tokens' strings count as ordinary text."""
+    pieces of over 64 bytes. The strings of SPECIAL are their one id, and a text is cut there before all else."""
 
     def __init__(self, ranks_path: str, most: int = 500_000) -> None:
         import public_tokenizers
@@ -31,7 +33,10 @@ class ByteTokenizer:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = {t: i for t, i in ranks.items() if i not in SPECIAL.values()}
+        coding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.encode = functools.partial(coding.encode, allowed_special="all")
+        self.ordinary = coding.encode_ordinary
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
@@ -43,7 +48,7 @@ class ByteTokenizer:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        ids = np.array(self.encode(" " + b" ".join(pieces).decode()), np.uint32)
+        ids = np.array(self.ordinary(" " + b" ".join(pieces).decode()), np.uint32)
         last = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x) + 1 for x in pieces]))
         first = np.concatenate([[0], last[:-1] + 1])
         keys = np.concatenate([self.keys, keys])
@@ -61,7 +66,7 @@ class ByteTokenizer:
             long = np.unique(np.searchsorted(w.first, np.flatnonzero(w.end - w.start > 64), "right") - 1)
             odd.update((a + long).tolist())
             for i in range(a, b):
-                if runs[i - a] == 0 or texts[i].count(" ") != runs[i - a] - 1:
+                if runs[i - a] == 0 or texts[i].count(" ") != runs[i - a] - 1 or any(t in texts[i] for t in SPECIAL):
                     odd.add(i)
             tables.append((a, b, w))
         if not tables:
@@ -96,7 +101,7 @@ class ByteTokenizer:
                 if i in odd:
                     out[i] = np.array(self.encode(texts[i]), np.uint32).tobytes()
                 elif texts[i]:
-                    first = np.array(self.encode(texts[i].partition(" ")[0]), np.uint32).tobytes()
+                    first = np.array(self.ordinary(texts[i].partition(" ")[0]), np.uint32).tobytes()
                     out[i] = first + raw[ends[i - a] : ends[i - a + 1]]
         return out
 
