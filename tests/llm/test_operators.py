@@ -136,6 +136,13 @@ def brute_spans(t):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.findall("[0-9]", m[0])) <= 15]
 
 
+def test_licences_whose_telling_words_are_apart(spark):
+    grant = licenses.SENTENCES["unlicense_grant"]
+    texts = ["# " + grant.replace("public domain", "public\n# domain"), grant.replace("public domain", "public-domain"), "All rights  reserved.", "All rights\nreserved."]
+    got = {r["doc_id"]: r["sequence"] for r in licenses.scan(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "unlicense_grant", 1: "unlicense_grant", 2: "all_rights", 3: "all_rights"}
+
+
 def test_base_patterns():
     rng = random.Random(3)
     for _ in range(8000):

@@ -74,8 +74,9 @@ RULES = [
     ("MPL-2.0", ["mpl_subject", "mpl_copy"]),
     *((name, [one]) for name, ones in (("MIT", ("mit_grant", "mit_named", "mit_licensed", "mit_bare", "mit_spdx")), ("ISC", ("isc_grant", "isc_spdx")), ("BSD-2-Clause", ("bsd2_spdx",)), ("BSD-3-Clause", ("bsd3_spdx",)), ("Apache-2.0", ("apache_named", "apache_grant", "apache_spdx")), ("GPL-3.0-only", ("gpl3_named", "gpl3only_spdx")), ("GPL-2.0-only", ("gpl2_named", "gpl2only_spdx")), ("GPL-3.0-or-later", ("gpl3_grant", "gpl3_spdx")), ("GPL-2.0-or-later", ("gpl2_grant", "gpl2_spdx")), ("LGPL-2.1-or-later", ("lgpl_grant",)), ("AGPL-3.0-or-later", ("agpl_grant",)), ("MPL-2.0", ("mpl_subject", "mpl_spdx")), ("CC-BY-NC-4.0", ("ccbync_named", "ccbync_long")), ("CC-BY-4.0", ("ccby_named", "ccby_long")), ("CC-BY-SA-4.0", ("ccbysa_named", "ccbysa_long")), ("CC0-1.0", ("cc0_spdx",)), ("Unlicense", ("unlicense_grant",)), ("BSL-1.0", ("boost_named",))) for one in ones),
 ]
-#: Every known sentence has one of these, so that a text without any has no known sentence.
-TELLING = ("licen", "permission", "copyright", "warrant", "redistribut", "liable", "public domain", "mpl", "rights reserved")
+#: Every known sentence has one of these, so that a text without any has no known sentence. No blanks: in a text, two words
+#: may be apart by a line end or a hyphen.
+TELLING = ("licen", "permission", "copyright", "warrant", "redistribut", "liable", "domain", "mpl", "reserved")
 
 # The same patterns serve Java's and DuckDB's regular expressions.
 _MARGIN = r"(^|\n)[ \t]*(//+|#+|\*+|;+|--+|/\*+)[ \t]*"
