@@ -11,7 +11,7 @@ from . import shared
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (the least node that it is linked to, over any number of links) of each node of the links a, b.
 
-    Each round is an aggregation and a join, written to the shared folder, so that lineage stays short; nothing but
+    Each round is an aggregation and a join, in which hot nodes are salted, written to the shared folder, so that lineage stays short; nothing but
     the count of links and a checksum comes to the driver. Null ends and loops are left out.
     """
     edges = shared.written(_tidy(links.select(F.col("a").cast("long"), F.col("b").cast("long"))), "links")
@@ -19,11 +19,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = shared.joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a > b from here on
         smaller = shared.written(_tidy(large), "links")
         least = smaller.groupBy("a").agg(F.min("b").alias("m"))
-        small = smaller.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = shared.joined(smaller, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = shared.written(_tidy(small), "links")
         new = _state(edges)
         if new == state:

@@ -23,7 +23,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
