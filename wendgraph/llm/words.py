@@ -6,7 +6,7 @@ end; equal words have equal hashes in every batch and on every machine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -86,6 +86,15 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling(h: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Running Karp-Rabin hashes: of a run length k, the hashes of all runs of k words. The sums are made once, each k then
+    costs one pass, whatever it is. Equal runs have equal hashes in all arrays."""
+    _grow(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power[: len(h)], out=total[1:])
+    return lambda k: mix((total[k:] - total[: len(total) - k]) * _inverse[: len(total) - k]) if k <= len(h) else total[:0]
+
+
 def prefixes(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of over n bytes, as their places in w, and hashes of their first n bytes."""
     at = np.flatnonzero(w.end - w.start > n)
