@@ -19,8 +19,6 @@ from . import shared
 ROW = 64  # a PNG's width: payloads are whole rows of 8-bit samples
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # bytes of a PNG up to the end of its IHDR chunk
-#: Payloads whose places a worker remembers.
-PLACES = 500_000
 #: Payload bytes of a shard, about; a larger partition writes more shards.
 SHARD_BYTES = 256 << 20
 
@@ -88,45 +86,70 @@ class _Shard:
         self.file.close()
 
 
-def store(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes the payloads, as PNGs, to tar shards under `folder` and returns one row per document: doc_id, digest (sha256 of
-    the PNG, which also names it in the shard), n_bytes, shard, offset, length.
+_PLACE = "digest binary, n_bytes long, shard string, offset long, length long"
 
-    A partition writes shards of its own, each different payload once, so payloads are never shuffled, and one that
-    a third of all rows have is stored once a partition. A worker holds one batch and the places of up to PLACES
-    payloads; past that it forgets them and may store a payload again. Null and empty texts are ROW zero bytes.
-    """
-    shared.small_batches(docs.sparkSession)
+
+def _stored(texts: DataFrame, folder: str, carried: str) -> DataFrame:
+    """Writes the payload of each row (a column `carried`, and text) to shards of its partition; the column and its place."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, places = None, {}
+        shard = None
         for batch in batches:
             out = []
             for text in batch["text"]:
-                samples = payload(text)
-                raw = hashlib.sha256(samples).digest()
-                if raw not in places:
-                    png = to_png(samples)
-                    digest = hashlib.sha256(png).digest()
-                    if shard is not None and shard.at > SHARD_BYTES:
-                        shard.close()
-                        shard = None
-                    if shard is None:
-                        shard = _Shard(folder)
-                    if len(places) >= PLACES:
-                        places.clear()
-                    name = digest.hex()
-                    places[raw] = (digest, shard.uri, shard.add(f"{name[:2]}/{name}.png", png), len(png))
-                digest, *place = places[raw]
-                out.append((digest, len((text or "").encode("utf-8", "surrogatepass")), *place))
-            df = pd.DataFrame(out, columns=["digest", "n_bytes", "shard", "offset", "length"])
-            df.insert(0, "doc_id", batch["doc_id"])
+                png = to_png(payload(text))
+                digest = hashlib.sha256(png).digest()
+                if shard is not None and shard.at > SHARD_BYTES:
+                    shard.close()
+                    shard = None
+                if shard is None:
+                    shard = _Shard(folder)
+                name = digest.hex()
+                out.append((digest, len((text or "").encode("utf-8", "surrogatepass")), shard.uri, shard.add(f"{name[:2]}/{name}.png", png), len(png)))
+            df = pd.DataFrame(out, columns=[c.split()[0] for c in _PLACE.split(", ")])
+            df.insert(0, carried, batch[carried])
             yield df
         if shard is not None:
             shard.close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(write, "doc_id long, digest binary, n_bytes long, shard string, offset long, length long")
+    return texts.select(carried, "text").mapInPandas(write, f"{carried} {dict(texts.dtypes)[carried]}, {_PLACE}")
+
+
+def store(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes the payloads, as PNGs, to tar shards under `folder` and returns one row per document: doc_id, digest (sha256 of
+    the PNG, which also names it in the shard), n_bytes, shard, offset, length. It is a written table, so only shards of
+    tasks that ended well are ever named in it.
+
+    A digest is stored once. Texts that occur once are written by the partition that reads them, so they are never
+    shuffled. Which ones occur more often is told by a count of their hashes; of these one copy each is written, and
+    all rows are given its place by their hash: a text that a third of all rows have goes through the shuffle once a
+    task. Null and empty texts are ROW zero bytes. Payloads of equal bytes have equal places, so a text and the same
+    with zero characters at its end share one, too. Shards that a failed or doubled attempt left are deleted.
+    """
+    shared.small_batches(docs.sparkSession)
+    padded = F.rpad(F.encode("text", "utf-8"), F.greatest(F.ceil(F.octet_length("text") / ROW) * ROW, F.lit(ROW)).cast("int"), F.lit(b"\0"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.unhex(F.sha2(padded, 256)))
+    again = shared.written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("again")), "repeated")
+    rows = rows.join(shared.hinted(again), "key", "left")
+    once = shared.written(_stored(rows.where("again is null"), folder, "doc_id"), "media-once")
+    copies = rows.where("again is not null")
+    places = shared.written(_stored(copies.groupBy("key").agg(F.first("text").alias("text")), folder, "key"), "media-places")
+    copies = shared.written(copies.select("doc_id", "key", F.octet_length("text").cast("long").alias("own")), "media-copies")
+    found = shared.joined(copies, places, "key").select("doc_id", "digest", F.col("own").alias("n_bytes"), "shard", "offset", "length")
+    stored = shared.written(once.unionByName(found), "media-index")
+    _forget(once.select("shard").unionByName(places.select("shard")), folder)
+    return stored
+
+
+def _forget(used: DataFrame, folder: str) -> None:
+    """Deletes the shards under `folder` that aren't in `used`: a few names for each gigabyte."""
+    fs, path = _open(folder)
+    there = fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+    named = {r["shard"].rpartition("/")[2] for r in used.distinct().toLocalIterator()}
+    for f in there:
+        if f.base_name not in named:
+            fs.delete_file(f.path)
 
 
 def headers(stored: DataFrame) -> DataFrame:
@@ -189,8 +212,6 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Stores the documents' payloads in the shared folder (or `folder`) and returns `features` of what was stored. The
-    index of shards is a written table, so only shards of tasks that ended well are ever read. Repeated rows
-    each get their row; an empty table gives none; other columns are not looked at."""
-    stored = shared.written(store(docs, folder or shared.new_path(docs.sparkSession, "media")), "media-index")
-    return features(stored)
+    """Stores the documents' payloads in the shared folder (or `folder`) and returns `features` of what was stored. Repeated
+    rows each get their row; an empty table gives none; other columns are not looked at."""
+    return features(store(docs, folder or shared.new_path(docs.sparkSession, "media")))
