@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from . import shared, words
 
-BITS = 17  # n-grams are named by 2**BITS numbers for each n; the few that share a name count as one
 LONGEST = 3
+_BASE = 0x110000  # code points; an n-gram's name is its code points as digits, after the names of all shorter ones
+_FROM = [0, 0, _BASE, _BASE + _BASE**2]
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -25,33 +26,29 @@ def _letters() -> np.ndarray:
 
 def ngrams(text: str) -> np.ndarray:
     """Names of all n-grams, n from 1 to LONGEST, of the letters of the text in lower case. Runs of other
-    characters count as one boundary; n-grams with a boundary inside, or of it alone, are left out."""
+    characters count as one boundary (0); n-grams with a boundary inside, or of it alone, are left out."""
     c = _letters()[np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]
+    c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])].astype(np.int64)
     on = c > 0
-    x = h = c.astype(np.uint64)
-    out = [c[on] * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)]
-    for n in range(2, LONGEST + 1):
-        h = h[:-1] * np.uint64(0xD1342543DE82EF95) + x[n - 1 :]
-        if n == 2:
-            keep = on[:-1] | on[1:]
-        else:
-            keep = np.logical_and.reduce([on[j : len(on) - n + 1 + j] for j in range(1, n - 1)])
-        named = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.uint32) + np.uint32((n - 1) << BITS)
-        out.append(named[keep])
-    return np.concatenate(out)
+    two = c[:-1] * _BASE + c[1:]
+    three = two[:-1] * _BASE + c[2:]
+    return np.concatenate([c[on], two[on[:-1] | on[1:]] + _FROM[2], three[on[1:-1]] + _FROM[3]])
 
 
-def ranked(grams: np.ndarray, top: int) -> np.ndarray:
-    """The most frequent n-grams, most frequent first, ties by name."""
+def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams, in order of name, and how often each occurs."""
     s = np.sort(grams)
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    count = np.diff(np.append(at, len(s)))
-    key = (count.astype(np.int64) << 32) - s[at]
-    if len(key) > top:
-        key = key[np.argpartition(key, len(key) - top)[len(key) - top :]]
-    order = np.sort(key)[::-1]
-    return (-order & 0xFFFFFFFF).astype(np.int64)
+    return s[at], np.diff(np.append(at, len(s)))
+
+
+def ranked(grams: np.ndarray, top: int) -> np.ndarray:
+    """The most frequent n-grams, most frequent first, ties by name."""
+    names, count = counted(grams)
+    if len(names) > top:
+        least = np.partition(count, len(count) - top)[len(count) - top]
+        names, count = names[count >= least], count[count >= least]
+    return names[np.argsort(-count, kind="stable")[:top]]
 
 
 def learn(docs: DataFrame, top: int = 300) -> dict[str, np.ndarray]:
@@ -59,28 +56,40 @@ def learn(docs: DataFrame, top: int = 300) -> dict[str, np.ndarray]:
     a text and a lang. What comes to the driver is `top` numbers a language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
-                g = np.concatenate([ngrams(t) for t in rows["text"]])
-                total[lang] = total.get(lang, 0) + np.bincount(g, minlength=LONGEST << BITS)
-                if len(total) > 64:
-                    yield from _counted(total)
-        yield from _counted(total)
+                texts = rows["text"].tolist()
+                for a, b in words.blocks([len(t) for t in texts]):
+                    found = counted(np.concatenate([ngrams(t) for t in texts[a:b]]))
+                    total.setdefault(lang, []).append(found)
+                    held += len(found[0])
+            if held > 1 << 21:
+                total = {lang: [_added(found)] for lang, found in total.items()}
+                held = sum(len(found[0][0]) for found in total.values())
+                if held > 1 << 20:
+                    yield from _frames(total)
+                    total, held = {}, 0
+        yield from _frames(total)
 
     used = docs.where((shared.fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = used.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInPandas(count, "lang string, gram int, n long")
+    counts = used.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInPandas(count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram", "rank").toPandas()
     return {lang: r.sort_values("rank")["gram"].to_numpy() for lang, r in sorted(rows.groupby("lang"))}
 
 
-def _counted(total: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-    for lang, n in total.items():
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": n[at]})
-    total.clear()
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    names, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return names, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def _frames(total: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pd.DataFrame]:
+    for lang, found in total.items():
+        names, n = _added(found)
+        yield pd.DataFrame({"lang": lang, "gram": names, "n": n})
 
 
 def identify(docs: DataFrame, top: int = 300) -> DataFrame:
@@ -90,21 +99,17 @@ def identify(docs: DataFrame, top: int = 300) -> DataFrame:
     in the profile, `top` where it has none. The score is the nearest language's share of all languages'
     closeness (one less the distance over the greatest possible): 1 if nothing else is near, 0 for "und".
     Ties go to the language first in order. A null text, one without letters, and any text if nothing was
-    learned give "und". Only the text is looked at; repeated rows each get their row.
+    learned give "und". Only the text is looked at; repeated rows each get their row; an empty table gives none.
     """
     shared.small_batches(docs.sparkSession)
     profiles = learn(docs, top)
     names = list(profiles)
-    rank = np.full((len(names), LONGEST << BITS), -1, np.int16)
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
+    ranks = np.full((len(names), len(used) + 1), -1, np.int64)  # the last column is that of all other n-grams
     for i, grams in enumerate(profiles.values()):
-        rank[i, grams] = np.arange(len(grams))
-    used = np.flatnonzero((rank >= 0).any(axis=0))
-    place = rank[:, used]
+        ranks[i, np.searchsorted(used, grams)] = np.arange(len(grams))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = np.full(LONGEST << BITS, len(used), np.int32)
-        index[used] = np.arange(len(used))
-        ranks = np.hstack([place, np.full((len(names), 1), -1, np.int16)]).astype(np.int64)
         for batch in batches:
             out = []
             for text in batch["text"]:
@@ -112,7 +117,9 @@ def identify(docs: DataFrame, top: int = 300) -> DataFrame:
                 if len(grams) == 0:
                     out.append(("und", 0.0))
                     continue
-                r = ranks[:, index[grams]]
+                at = np.searchsorted(used, grams)
+                at[at < len(used)] = np.where(used[at[at < len(used)]] == grams[at < len(used)], at[at < len(used)], len(used))
+                r = ranks[:, at]
                 far = np.where(r < 0, top, np.minimum(top, np.abs(r - np.arange(len(grams))))).sum(axis=1)
                 near = 1 - far / (top * len(grams))
                 best = int(np.argmin(far))
