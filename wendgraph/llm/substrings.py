@@ -18,7 +18,7 @@ from .words import mix
 #: Characters of text that make up one chunk: a worker's unit of work.
 CHUNK = 1 << 22
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_powers: list[np.ndarray] = []
 
 
 class Level(NamedTuple):
@@ -74,17 +74,15 @@ def recompress(slots: np.ndarray, barrier: np.ndarray, rounds: int) -> list[Leve
     return out
 
 
-def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    if not _powers or len(_powers[0][0]) < n:
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the first base, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
         size = 1 << int(n).bit_length()
         _powers[:] = []
-        for base in _BASES:
-            pair = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                x = np.full(size, b, np.uint64)
-                x[0] = 1
-                pair.append(np.multiply.accumulate(x))
-            _powers.append(tuple(pair))
+        for b in (_BASES[0], pow(_BASES[0], -1, 1 << 64)):
+            x = np.full(size, b, np.uint64)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x))
     return _powers
 
 
@@ -92,16 +90,12 @@ class Runs:
     """Hashes of any runs of slots, from running sums."""
 
     def __init__(self, slots: np.ndarray) -> None:
-        self.sums, self.inverse = [], []
-        for up, down in _power(len(slots) + 1):
-            total = np.zeros(len(slots) + 1, np.uint64)
-            np.cumsum(slots * up[: len(slots)], out=total[1:])
-            self.sums.append(total)
-            self.inverse.append(down)
+        up, self.inverse = _power(len(slots) + 1)
+        self.sums = np.zeros(len(slots) + 1, np.uint64)
+        np.cumsum(slots * up[: len(slots)], out=self.sums[1:])
 
-    def hash(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-        total = self.sums[which]
-        return mix((total[b] - total[a]) * self.inverse[which][a])
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self.sums[b] - self.sums[a]) * self.inverse[a])
 
 
 def anchors(levels: list[Level], starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,11 +207,25 @@ def _emit(keys: np.ndarray, copies: np.ndarray, meta: list[np.ndarray], texts: l
     yield pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "meta", "texts"])
 
 
-def _repeated(emitted: DataFrame, width: int, keep: str) -> DataFrame:
-    """From a written table of `_emit`'s rows: key string, spans binary (int32 start, end pairs of the meta rows of keys that
+def window_names(text: str, at: np.ndarray, window: int) -> np.ndarray:
+    """Digests (BLAKE2b, 128 bits, n x 2) of the windows' words themselves, joined by blanks, at the given places."""
+    parts = text.encode("utf-8", "surrogatepass").split()
+    whole = b" ".join(parts)
+    start = np.cumsum([0, *(len(x) + 1 for x in parts)])
+    names = b"".join([hashlib.blake2b(whole[x:y], digest_size=16).digest() for x, y in zip(start[at].tolist(), (start[at + window] - 1).tolist())])
+    return np.frombuffer(names, np.uint64).reshape(-1, 2)
+
+
+def _repeated(rows: DataFrame, width: int, keep: str) -> DataFrame:
+    """From `_emit`'s rows, which are written first and deleted at the end: key string, spans binary (int32 start, end pairs of the meta rows of keys that
     occur more than once anywhere), by text. A bucket's keys come together in one task: a bucket holds a bounded share
     of all keys, as their number grows with the input, and of one key at most two entries a chunk."""
 
+    spark = rows.sparkSession
+    path = shared.new_path(spark, f"{keep}-keys")
+    rows.write.parquet(path)
+    emitted = spark.read.schema(EMITTED).parquet(path)
+
     def flag(df: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in df["keys"]]
         k = np.concatenate(keys)
@@ -252,7 +260,9 @@ def _repeated(emitted: DataFrame, width: int, keep: str) -> DataFrame:
     flags = emitted.where("bucket >= 0").select("chunk", "bucket", "keys").groupBy("bucket").applyInPandas(flag, "chunk string, bucket int, n int, hit binary")
     metas = emitted.where("bucket < 0").select("chunk", "meta", "texts")
     found = flags.groupBy("chunk").cogroup(metas.groupBy("chunk")).applyInPandas(place, "key string, spans binary")
-    return shared.written(found.dropDuplicates(["key"]), keep)
+    kept = shared.written(found.dropDuplicates(["key"]), keep)
+    shared.drop(spark, path)
+    return kept
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -271,7 +281,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds: int = 4) -> DataFr
 
     1. Every text is recompressed (`recompress`), every window gets its anchor (`anchors`), and the hashes of the
        anchors' contexts are counted over all texts: about one for nine words.
-    2. Of windows whose anchor occurs once, none is repeated. The others' 128-bit hashes are counted.
+    2. Of windows whose anchor occurs once, none is repeated. Of the others, digests of the words themselves are counted, so
+       the decision rests on no hash of hashes.
     3. The words under repeated windows go.
 
     A chunk of texts sends each key once or twice, however often it has it, so copies and passages that a third
@@ -308,24 +319,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds: int = 4) -> DataFr
                 name, of, lo, hi = map(np.concatenate, zip(*found))
                 yield from _emit(name.reshape(-1, 1), np.array(copies)[of], [of, lo, hi], keys, buckets)
 
-    zones = _repeated(shared.written(rows.select("key", "text").mapInPandas(first, EMITTED), "anchors"), 1, "zones")
+    zones = _repeated(rows.select("key", "text").mapInPandas(first, EMITTED), 1, "zones")
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, texts, spans, copies in _chunks(batches, ["key", "text", "spans"]):
             found = []
-            for a, b in words.blocks([len(t) for t in texts]):
-                s = slots(texts[a:b])
-                runs = Runs(s.value)
-                for i in range(a, b):
-                    z = np.frombuffer(spans[i], np.int32).reshape(-1, 2)
-                    at = np.concatenate([np.arange(x, y) for x, y in z])
-                    p = s.first[i - a] + at
-                    found.append((np.stack([runs.hash(p, p + window, 0), runs.hash(p, p + window, 1)], axis=1), np.full(len(at), i), at, at + 1))
+            for i, (text, zones_) in enumerate(zip(texts, spans)):
+                at = np.concatenate([np.arange(x, y) for x, y in np.frombuffer(zones_, np.int32).reshape(-1, 2)])
+                found.append((window_names(text, at, window), np.full(len(at), i), at, at + 1))
             k, of, lo, hi = map(np.concatenate, zip(*found))
             yield from _emit(k, np.array(copies)[of], [of, lo, hi], keys, buckets)
 
     suspect = rows.select("key", "text").join(shared.hinted(zones), "key")
-    marks = _repeated(shared.written(suspect.mapInPandas(second, EMITTED), "windows"), 2, "marks")
+    marks = _repeated(suspect.mapInPandas(second, EMITTED), 2, "marks")
 
     def third(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
