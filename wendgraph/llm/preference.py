@@ -40,7 +40,8 @@ def pairs(both: DataFrame) -> DataFrame:
     The prompt is the longest common prefix of turns (role and text equal), rendered once; a completion is the
     rest of its conversation, and its mask says which parts are learned. Equal conversations leave two empty
     completions; conversations with different first turns have an empty prompt; a null side counts as one
-    without turns. A conversation is one row, so the work on it stays in one task, whatever its length.
+    without turns. Repeated pair_ids each get their row, an empty table gives none, and other columns are not looked
+    at. A conversation is one row, so the work on it stays in one task, whatever its length.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     sides = both.select("pair_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"))
@@ -68,7 +69,7 @@ def with_borrowed_replies(rows: DataFrame) -> DataFrame:
     """Pairs for a table that has no rejected conversations, one for each conv_id: the conversation is chosen; the rejected
     one has the same turns but, for its last reply, the last reply of the next larger conv_id that has one. Turns
     after that reply stay on both sides. A conversation without a reply, or with none to borrow after it, has
-    a null rejected side."""
+    a null rejected side. Other columns are not looked at; an empty table gives no rows."""
     last = F.try_element_at(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(-1))
     conv = conversations(rows)
     replies = conv.select("conv_id", last.alias("other")).where("other is not null")
@@ -81,8 +82,7 @@ def with_borrowed_replies(rows: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """pairs in DuckDB's SQL, over narrower pairs than with_borrowed_replies': only of conversations that end in a reply and
-    whose conv_id + 1 has one."""
+    """pairs of with_borrowed_replies in DuckDB's SQL: a row for each conversation."""
     render = lambda x: f"coalesce(array_to_string([concat('{OPEN}', t.role, '|>', chr(10), t.text, '<|end|>', chr(10)) FOR t IN {x}], ''), '')"
     size = f"length(u.role) + {len(OPEN) + len(CLOSE)} + length(u.text) + {len(END)}"
 
@@ -91,4 +91,6 @@ def sql() -> str:
         part = f"concat(CAST({before} + length({x}[i].role) + {len(OPEN) + len(CLOSE)} AS BIGINT), ':', CAST({before} + length({x}[i].role) + {len(OPEN) + len(CLOSE)} + length({x}[i].text) + {len(END)} AS BIGINT))"
         return f"coalesce(array_to_string([{part} FOR i IN range(1, len({x}) + 1) IF {x}[i].role = 'assistant'], ','), '')"
 
-    return f"""WITH conv AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id), last AS (SELECT conv_id - 1 AS conv_id, [t FOR t IN turns IF t.role = 'assistant'][-1] AS other FROM conv WHERE len([t FOR t IN turns IF t.role = 'assistant']) > 0), two AS (SELECT conv_id AS pair_id, turns AS c, list_concat(turns[:len(turns) - 1], [other]) AS r FROM conv JOIN last USING (conv_id) WHERE turns[-1].role = 'assistant'), cuts AS (SELECT *, coalesce(list_min([i FOR i IN range(1, greatest(len(c), len(r)) + 1) IF c[i] IS DISTINCT FROM r[i]]) - 1, len(c)) AS n FROM two), cut AS (SELECT pair_id, n, c[:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM cuts) SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns, {render('p')} AS prompt, {render('c')} AS chosen, {mask('c')} AS chosen_mask, {render('r')} AS rejected, {mask('r')} AS rejected_mask FROM cut"""
+    reply = "[t FOR t IN turns IF t.role = 'assistant']"
+    at = "len(turns) - list_position(list_reverse([t.role FOR t IN turns]), 'assistant')"
+    return f"""WITH conv AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id), replies AS (SELECT conv_id, lead({reply}[-1]) OVER (ORDER BY conv_id) AS other, {at} AS before FROM conv WHERE len({reply}) > 0), two AS (SELECT conv_id AS pair_id, turns AS c, CASE WHEN other IS NULL THEN [] ELSE list_concat(list_concat(turns[:before], [other]), turns[before + 2:]) END AS r FROM conv LEFT JOIN replies USING (conv_id)), cuts AS (SELECT *, coalesce(list_min([i FOR i IN range(1, greatest(len(c), len(r)) + 1) IF c[i] IS DISTINCT FROM r[i]]) - 1, len(c)) AS n FROM two), cut AS (SELECT pair_id, n, c[:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM cuts) SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns, {render('p')} AS prompt, {render('c')} AS chosen, {mask('c')} AS chosen_mask, {render('r')} AS rejected, {mask('r')} AS rejected_mask FROM cut"""
