@@ -1,17 +1,21 @@
 """Vectorised words: 64-bit hashes of all words of a batch of texts, without a Python loop over words.
 
 A word's hash is a polynomial of its bytes modulo 2**64 (from one running sum over the batch), mixed at the
-end; equal words have equal hashes in every batch and on every machine.
+end, or a digest where it is so long that some words are known to be equal under every such polynomial; equal words
+have equal hashes in every batch and on every machine.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes of a word from which its hash is a digest.
+LONG = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLAIN = ~_SPACE
@@ -69,6 +73,8 @@ def words(texts: list[str | None], kind: str) -> Words:
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _power[: len(raw)], out=total[1:])
     hashed = mix((total[end] - total[start]) * _inverse[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        hashed[i] = int.from_bytes(hashlib.blake2b(buffer[start[i] : end[i]], digest_size=8).digest(), "little")
     bounds = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=bounds[1:])
     return Words(hashed, np.searchsorted(start, bounds), start, end, buffer)
