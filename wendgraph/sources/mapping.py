@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +17,18 @@ _KINDS = {"string": "string", "int": "int", "bigint": "int", "smallint": "int",
 @dataclass(frozen=True)
 class NodeType:
     """Nodes of a table: uuid is the prefix, "_" and the key, or the key alone if the prefix is empty. Attributes are the
-    columns, and the keys of the JSON column `payload` where there is one."""
+    columns, and the keys of the JSON column `payload` where there is one. Keys are unique and not null."""
 
     name: str
-    table: DataFrame
+    source: DataFrame | Callable[[], DataFrame]  # a function opens the table when it is first asked for
     key: str
     prefix: str | None = None
     payload: str | None = None
 
+    @functools.cached_property
+    def table(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
     def uuid(self, key: Column) -> Column:
         return key.cast("string") if self.prefix == "" else F.concat(F.lit((self.prefix or self.name) + "_"), key.cast("string"))
 
@@ -42,14 +48,21 @@ class NodeType:
 
 @dataclass(frozen=True)
 class EdgeType:
+    """Edges of a table. complete: src and dst are foreign keys, so that both ends are nodes."""
+
     label: str
     src_type: str
     dst_type: str
-    table: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     src: str
     dst: str
     weight: str | None = None
     props: dict[str, str] = field(default_factory=dict)
+    complete: bool = False
+
+    @functools.cached_property
+    def table(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
 
 
 class GraphMapping:
@@ -80,27 +93,32 @@ class GraphMapping:
         if kind is None:
             return self.spark.createDataFrame([], "id string, " + ", ".join(f"{n} string" for n in wanted) if wanted else "id string")
         t = self.types[kind]
-        out = []
-        for name, (key, how) in wanted.items():
-            if key in t.table.columns and key != t.payload:
-                of = _KINDS.get(t.table.schema[key].dataType.simpleString(), "string")
-                column = F.col(key) if how == "text" else F.when(F.col(key).isNotNull(), F.lit(of))
-            elif t.payload is not None:
-                payload = F.col(t.payload)
-                column = attributes.text(payload, key) if how == "text" else attributes.json_type(attributes.variant(payload), key)
-            else:
-                column = F.lit(None).cast("string")
-            out.append(column.alias(name))
-        return t.table.select(F.col(t.key).alias("id"), *out)
-
-    def edge_frame(self, label: str, reverse: bool, kind: str | None, wanted: dict[str, tuple[str, str]]) -> tuple[DataFrame, str | None]:
+        return t.table.select(F.col(t.key).alias("id"), *[self._attribute(t, *of).alias(n) for n, of in wanted.items()])
+
+    def _attribute(self, t: NodeType, key: str, how: str) -> Column:
+        """A column of the type's table: an attribute as "text" or its JSON "type"."""
+        if key in t.table.columns and key != t.payload:
+            of = _KINDS.get(t.table.schema[key].dataType.simpleString(), "string")
+            return F.col(key) if how == "text" else F.when(F.col(key).isNotNull(), F.lit(of))
+        if t.payload is not None:
+            payload = F.col(t.payload)
+            return attributes.text(payload, key) if how == "text" else attributes.json_type(attributes.variant(payload), key)
+        return F.lit(None).cast("string")
+
+    def edge_frame(self, label: str, reverse: bool, kind: str | None, wanted: dict[str, tuple[str, str]], compat: bool = False, nodes: dict[str, tuple[str, str]] | None = None) -> tuple[DataFrame, str | None, set[str]]:
+        """src, dst, weight and the wanted properties, in the direction of the walk; the type it leads to; and which of the
+        far nodes' attributes asked for are among the columns: all where the edges' table is the nodes' own, so that no
+        table is joined with itself, and the key where every edge leads to a node."""
         e = self.labels.get(label)
         if e is None or (kind is not None and kind != (e.dst_type if reverse else e.src_type)):
-            return self.spark.createDataFrame([], "src string, dst string, weight double, rank string" + "".join(f", {n} string" for n in wanted)), None
+            return self.spark.createDataFrame([], "src string, dst string, weight double, rank string" + "".join(f", {n} string" for n in wanted)), None, set()
         a, b, to = (e.dst, e.src, e.src_type) if reverse else (e.src, e.dst, e.dst_type)
+        t = self.types[to]
         weight = F.col(e.weight).cast("double") if e.weight else F.lit(1.0)
         props = [(F.col(e.props[k]) if k in e.props else F.lit(None).cast("string")).alias(n) for n, (k, _) in wanted.items()]
-        return e.table.select(F.col(a).alias("src"), F.col(b).alias("dst"), weight.alias("weight"), self.types[to].uuid(F.col(b)).alias("rank"), *props), to
+        own = b == t.key and e.table is t.table
+        found = {n: self._attribute(t, key, how) if own else F.col(b) for n, (key, how) in (nodes or {}).items() if own or (e.complete and key == t.key and how == "text")}
+        return e.table.select(F.col(a).alias("src"), F.col(b).alias("dst"), weight.alias("weight"), t.uuid(F.col(b)).alias("rank"), *props, *[c.alias(n) for n, c in found.items()]), to, set(found)
 
     def nodes(self) -> DataFrame:
         """All nodes as uuid and payload."""

@@ -6,23 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.model import Clock
-
-
-def stamped(df: DataFrame, batch: int, clock: Clock) -> DataFrame:
-    """Rows with stamps of their own keep them. Others get the batch's wall time and different logical parts; the batch's
-    number comes first in them, so that within a millisecond later batches win."""
-    if "ts" in df.columns:
-        return df
-    wall, _, node = clock.stamp()
-    logical = F.lit((batch % 1024) << 20) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
-    return df.withColumn("ts", F.struct(F.lit(wall).cast("long").alias("wall_time"), logical.cast("int").alias("logical"), F.lit(node).cast("long").alias("node_id")))
+from ..sources.model import Clock, stamped
 
 
 def ingest_edges(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, clock: Clock | None = None) -> StreamingQuery:
     """Appends a stream of src, label, weight, dst, props (and ts) to a store's edge log. A batch is written under its own
-    number and replaces itself when it is run again, so each row is there once. No row is late: the snapshot is by
-    stamp, without a watermark."""
+    number and replaces itself when it is run again, so each row is there once. Rows without stamps get the batch's, which
+    is later than that of all batches before it. No row is late: the snapshot is by stamp, without a watermark."""
     return _ingest(stream, f"{path}/edges", ["src", "label", F.col("weight").cast("double").alias("weight"), "dst", _or_null(stream, "props")], checkpoint, trigger, clock)
 
 
@@ -40,7 +30,7 @@ def _ingest(stream: DataFrame, path: str, columns: list, checkpoint: str, trigge
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.select(*columns, *[c for c in ("ts",) if c in batch.columns])
-        writer = stamped(rows, number, clock).write.mode("overwrite")
+        writer = stamped(rows, clock).write.mode("overwrite")
         (writer.partitionBy("label") if "label" in rows.columns else writer).parquet(f"{path}/batch=stream-{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
