@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import attributes, keys
+from .operators.engine import Engine
 from .plans.compiler import weight_filter
 from .sources.mapping import EdgeType, GraphMapping
 from .sources.store import GraphStore
@@ -90,8 +91,6 @@ def neighbors_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
     far = g.types["nation"].table.select("n_nationkey", (F.col("n_nationkey") * 100000).cast("long").alias("to"))
     g = GraphMapping(spark, list(g.types.values()), [EdgeType("sends_to", "nation", "customer", far, "n_nationkey", "to")])
-    from .operators.engine import Engine
-
     return renamed(Engine(spark, g).query().match("n").out("sends_to").as_("c").return_("n", "n_nationkey").return_("c", "c_name").to_df(), "n_nationkey", "c_name")
 
 
@@ -148,7 +147,7 @@ def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE printf('%012.4f', c_acctbal) >= printf('%012.4f', (-999999.0)::DOUBLE)")
 def negative_weight_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, _ = graph(spark, sf_dir).edge_frame("has_customer", False, "nation", {})
+    edges, *_ = graph(spark, sf_dir).edge_frame("has_customer", False, "nation", {})
     return weight_filter(edges, ((">=", -999999.0),), compat=True).select(F.col("dst").alias("c_custkey"))
 
 
@@ -163,10 +162,12 @@ def attr_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", attributes.typed(attributes.variant(F.col("props")), "k", "int").alias("k"), attributes.has(F.col("props"), "zz").alias("has_zz"))
 
 
-@query("SELECT event_id, '' AS s FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS s FROM events")
 def attr_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The string view of a key that holds a number."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", attributes.view(attributes.variant(F.col("props")), "k").alias("s"))
+    """The string view of a key that holds a string in a third of the payloads, a number in another, and is missing in the rest."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    payload = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("v")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("value").alias("v")))).otherwise(F.col("props"))
+    return events.select("event_id", attributes.view(attributes.variant(payload), "v").alias("s"))
 
 
 @query("SELECT o_orderstatus AS status FROM orders WHERE o_custkey = 7 AND o_totalprice >= 50000")
@@ -210,9 +211,9 @@ def where_has(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renamed(q.return_("e", "event_id").to_df(), "event_id")
 
 
-@query("SELECT l_partkey AS dst, l_quantity AS weight, l_returnflag AS returnflag, l_linenumber AS line FROM lineitem WHERE l_orderkey BETWEEN 100 AND 200 AND l_quantity >= 10")
+@query("SELECT l_partkey AS dst, l_quantity AS weight, l_returnflag AS returnflag, l_linenumber AS line FROM lineitem WHERE l_quantity >= 10")
 def edge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = engine(spark, sf_dir).query().match("o").where_in("o", "id", [f"order_{i}" for i in range(100, 201)]).out("contains", 10).as_("p", edge="e")
+    q = engine(spark, sf_dir).query().match("o").out("contains", 10).as_("p", edge="e")
     return renamed(q.return_("p", "p_partkey").return_("e", "weight", "returnflag", "line").to_df(), "dst", "weight", "returnflag", "line")
 
 
@@ -250,35 +251,78 @@ def metrics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(count(*) AS BIGINT) AS n_edges, count(DISTINCT o_custkey) AS n_sources FROM orders")
 def one_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hop from all anchors of a type: the throughput query."""
-    edges, _ = graph(spark, sf_dir).edge_frame("placed", False, "customer", {})
+    edges, *_ = graph(spark, sf_dir).edge_frame("placed", False, "customer", {})
     return edges.agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_sources"))
 
 
-@query()
+@query("SELECT 'customer_' || c_custkey AS uuid, true AS same, true AS known, true AS balanced FROM customer")
 def owner_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
-    t = g.types["customer"]
-    return t.table.select(t.uuid(F.col("c_custkey")).alias("uuid"), keys.owner(t.uuid(F.col("c_custkey")), 8).alias("owner"))
+    """Each customer's owner: the same one by number of owners and by their ids, one of them, and none has twice its share."""
+    t = graph(spark, sf_dir).types["customer"]
+    uuid = t.uuid(F.col("c_custkey"))
+    owned = t.table.select(uuid.alias("uuid"), keys.owner(uuid, 8).alias("owner"), keys.owner(uuid, [17, 12, 11, 13, 10, 14, 16, 15]).alias("named"))
+    shares = owned.groupBy("owner").agg(F.count("*").alias("n")).select("owner", (F.col("n") * 8 < 2 * F.sum("n").over(Window.partitionBy())).alias("balanced"))  # eight rows
+    return owned.join(F.broadcast(shares), "owner").select("uuid", (F.col("named") == F.col("owner") + 10).alias("same"), F.col("owner").between(0, 7).alias("known"), "balanced")
 
 
-@query()
+@query("SELECT o_custkey, true AS placed, 1 AS bits, true AS unset FROM orders GROUP BY o_custkey")
 def label_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's label filter and what it says of two labels."""
-    g = graph(spark, sf_dir)
-    bits = g.labels["placed"].table.groupBy("o_custkey").agg(F.bit_or(keys.bloom_bit(F.lit("placed"))).alias("bloom"))
-    return bits.select("o_custkey", "bloom", keys.might_have_edge("bloom", "placed").alias("placed"), keys.might_have_edge("bloom", "contains").alias("contains"))
+    """Each customer's label filter: what it says of its edges' label, how many bits it has, and that an empty one excludes nothing."""
+    bits = graph(spark, sf_dir).labels["placed"].table.groupBy("o_custkey").agg(F.bit_or(keys.bloom_bit(F.lit("placed"))).alias("bloom"))
+    return bits.select("o_custkey", keys.might_have_edge("bloom", "placed").alias("placed"), F.bit_count("bloom").cast("int").alias("bits"), keys.might_have_edge(F.lit(0).cast("long"), "contains").alias("unset"))
+
+
+@query("SELECT 'customer_' || c_custkey AS uuid, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 1 END AS v FROM customer")
+def node_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of node writes without stamps, the second with two writes of each node: the last one is read."""
+    t = graph(spark, sf_dir).types["customer"]
+    uuid = t.uuid(F.col("c_custkey")).alias("uuid")
+    write = lambda df, v: df.select(uuid, F.to_json(F.struct(v.cast("long").alias("v"))).alias("payload"))
+    table = t.table.repartition(7)
+    twice = table.where("c_custkey % 2 = 0").withColumn("n", F.explode(F.array(F.lit(2), F.lit(3))))
+    store = GraphStore(spark).put_nodes(write(table, F.lit(1))).put_nodes(write(twice, F.col("n")))
+    return store.nodes().select("uuid", attributes.typed(attributes.variant(F.col("payload")), "v", "int").cast("int").alias("v"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> GraphStore:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = lines.select(F.concat(F.lit("order_"), "l_orderkey").alias("src"), F.lit("contains").alias("label"), F.col("l_quantity").alias("weight"), F.concat(F.lit("part_"), "l_partkey").alias("dst"))
+    return GraphStore(spark).add_edges(rows)
+
+
+@query("SELECT 'order_' || l_orderkey AS src FROM (SELECT DISTINCT l_orderkey, round(l_quantity, 4) AS w FROM lineitem WHERE l_partkey = 17 AND l_quantity >= 25) x")
+def store_in_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backwards over a store's edges: the same ones that lead there forwards, with all their weights."""
+    q = Engine(spark, _lines(spark, sf_dir)).query().match("p").where_eq("p", "id", "part_17").in_("contains", 25).as_("o")
+    return q.return_("o", "id").to_df().toDF("src")
+
+
+@query("SELECT dst, w FROM (SELECT DISTINCT 'part_' || l_partkey AS dst, round(l_quantity, 4) AS w FROM lineitem WHERE l_orderkey = 7 AND l_quantity >= 10) x")
+def store_out_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Engine(spark, _lines(spark, sf_dir)).query().match("o").where_eq("o", "id", "order_7").out("contains", 10).as_("p", edge="e")
+    return renamed(q.return_("p", "id").return_("e", "weight").to_df(), "dst", "w")
+
+
+@query("SELECT o_orderkey, o_totalprice AS w FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def order_and_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty heaviest edges of a label: a top-k report."""
+    q = engine(spark, sf_dir).query().match("c").out("placed", None).as_("o", edge="e").return_("o", "o_orderkey").return_("e", "weight")
+    return renamed(q.order_by("e", "weight", descending=True).order_by("o", "o_orderkey").limit(20).to_df(), "o_orderkey", "w")
 
 
 @query()
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into an edge log in micro-batches, and the latest write of each edge."""
     import tempfile
+    from uuid import uuid4
 
     from .streaming.ingest import ingest_edges
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wendgraph-")
-    from uuid import uuid4
-
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="wendgraph-")
     at = f"{base}/stream-{uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")

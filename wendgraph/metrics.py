@@ -17,8 +17,8 @@ class Metrics:
     def hop(self, us: float) -> None:
         self._hops.append(us)
 
-    def cached(self) -> None:
-        self._in_memory = True
+    def cached(self, now: bool = True) -> None:
+        self._in_memory = now
 
     def read(self) -> None:
         self._hits += self._in_memory

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,21 @@ class Engine:
     def open(cls, spark: SparkSession, path: str, **options) -> Engine:
         return cls(spark, GraphStore.open(spark, path, options.pop("node_id", 1)), **options)
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, path: str) -> Engine:
+        """An engine as a JSON file says: node_id (1), db_path (a saved store; a new one if there is none), compat (false) and
+        hop_limit (none). Other keys are passed over; so is a file that is missing or isn't JSON, for the defaults."""
+        try:
+            with open(path) as f:
+                found = json.load(f)
+        except (OSError, ValueError):
+            found = {}
+        options = {k: found[k] for k in ("node_id", "compat", "hop_limit") if k in found}
+        at = found.get("db_path")
+        if at is not None and spark._jvm.org.apache.hadoop.fs.Path(f"{at}/nodes").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/nodes")):
+            return cls.open(spark, at, **options)
+        return cls(spark, **options)
+
     def compiler(self) -> Compiler:
         return Compiler(self.graph, self.compat, self.hop_limit)
 
@@ -58,6 +74,13 @@ class Engine:
     def put_nodes(self, df: DataFrame) -> None:
         self.graph = self.graph.put_nodes(df)
 
+    def put_json(self, text: str) -> None:
+        """Nodes from one JSON object of ids and payloads."""
+        self.graph = self.graph.put_json(text)
+
+    def ingest_json_lines(self, path: str) -> None:
+        self.graph = self.graph.ingest_json_lines(path)
+
     def add_edge(self, src: str, label: str, weight: float, dst: str, props: str | None = None) -> None:
         self.graph = self.graph.add_edge(src, label, weight, dst, props)
 
@@ -73,11 +96,25 @@ class Engine:
     def fetch_nodes(self, uuids: list[str] | DataFrame) -> DataFrame:
         return self.graph.fetch_nodes(uuids)
 
+    def nodes_json(self, uuids: list[str]) -> str:
+        """One JSON object of the ids that are nodes and their payloads, as text."""
+        found = self.fetch_nodes(list(dict.fromkeys(uuids))).where("payload is not null").collect()
+        return json.dumps({r["uuid"]: r["payload"] for r in found})
+
+    def neighbors_json(self, uuid: str, label: str, min_weight: float = 0.0) -> str:
+        """The ids that a node's edges of a label and at least the weight lead to, by weight and id, as a JSON array."""
+        return json.dumps([r["dst"] for r in self.node(uuid).neighbors(label, min_weight).collect()])
+
     def cache(self) -> None:
         """Keeps the current view in memory; a later write works on a view of its own, so nothing stale is read."""
         self.graph = self.graph.persist()
         self.stats.cached()
 
+    def uncache(self) -> None:
+        """Frees what cache kept."""
+        self.graph.unpersist()
+        self.stats.cached(False)
+
     def metrics(self, count: bool = True) -> dict:
         """The counters, and with `count` the numbers of nodes and edges."""
         out = self.stats.report()
@@ -116,7 +153,7 @@ class NodeRef:
     def edges(self, label: str, min_weight: float | None = None, limit: int | None = None, reverse: bool = False) -> DataFrame:
         """src, label, weight, dst and props, by weight and then the far end's id."""
         graph, compat = self.engine.graph, self.engine.compat
-        df = (graph.in_edges() if reverse and hasattr(graph, "in_edges") else graph.edges()).select("src", "label", "weight", "dst", "props")
+        df = (graph.in_edges() if reverse and compat and hasattr(graph, "in_edges") else graph.edges()).select("src", "label", "weight", "dst", "props")
         near, far = ("dst", "src") if reverse else ("src", "dst")
         df = df.where((F.col(near) == self.uuid) & (F.col("label") == label))
         if min_weight is None and compat:

@@ -67,6 +67,14 @@ class Query:
         """Columns alias.key of the result."""
         return self._but(returns=(*self.plan.returns, *(Return(alias, k) for k in keys)))
 
+    def order_by(self, alias: str, key: str, descending: bool = False) -> Query:
+        """Sorts by a returned value; of several calls the first counts most."""
+        return self._but(order=(*self.plan.order, (Return(alias, key), descending)))
+
+    def limit(self, n: int) -> Query:
+        """The first n rows, in the order asked for."""
+        return self._but(limit=n)
+
     def to_df(self) -> DataFrame:
         return self._engine.compiler().compile(self.plan)
 

@@ -51,7 +51,10 @@ class Compiler:
         df, kinds = self._walk(plan)
         names = list(dict.fromkeys(r.name for r in plan.returns))
         value = lambda n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) if self.compat else F.col(f"`{n}`")
-        return df.select(*[value(n).alias(n) for n in names])
+        out = df.select(*[value(n).alias(n) for n in names])
+        if plan.order:
+            out = out.orderBy(*[F.col(f"`{r.name}`").desc() if down else F.col(f"`{r.name}`").asc() for r, down in plan.order])
+        return out if plan.limit is None else out.limit(plan.limit)
 
     def counts(self, plan: Plan) -> DataFrame:
         """id (native key) of the last node and n_walks. Between hops, walks that stand at one node are one row with their
@@ -99,14 +102,18 @@ class Compiler:
 
         for i, hop in enumerate(hops):
             wanted = {f"{hop.edge_alias}.{r.key}": (r.key, "text") for r in plan.returns if hop.edge_alias and r.alias == hop.edge_alias and r.key not in ("weight", "label", "src", "dst")}
-            edges, to = graph.edge_frame(hop.label, hop.reverse, kind, wanted)
+            seen = bool(hop.alias) and (not compat or hop.alias == final_alias)
+            asked = self._wanted(plan, hop.alias) if seen else {}
+            edges, to, have = graph.edge_frame(hop.label, hop.reverse, kind, wanted, compat, asked)
             if df is None:
                 edges = edges.where(F.col("src").isin(graph.ids(uuids, kind)))
             edges = weight_filter(edges, hop.weights, compat)
             limit = hop.limit or self.hop_limit
             if limit:
                 edges = capped(edges, limit, compat)
-            edges = edges.select("src", "dst", *self._edge_columns(plan, hop, kind, to), *[F.col(f"`{n}`") for n in wanted])
+            edges = edges.select("src", "dst", *self._edge_columns(plan, hop, kind, to), *[F.col(f"`{n}`") for n in (*wanted, *(n for n in asked if n in have))])
+            if have:
+                edges = self._filtered(edges, plan, hop.alias)
             if df is None:
                 df = edges.withColumnRenamed("dst", "cur").drop("src")
                 if counted:
@@ -116,23 +123,23 @@ class Compiler:
             kind = to
             if counted:
                 df = df.groupBy("cur").agg(F.sum("m").alias("m"))
-            if hop.alias and (not compat or hop.alias == final_alias):
-                df = self._attach(df, plan, hop.alias, kind)
+            if seen:
+                df = self._attach(df, plan, hop.alias, kind, have)
         return df, kind
 
     def _literal(self, ids: list, kind: str | None) -> DataFrame:
         typed = "long" if ids and isinstance(ids[0], int) else "string"
         return self.graph.spark.createDataFrame([(i,) for i in ids], f"cur {typed}")
 
-    def _attach(self, df: DataFrame, plan: Plan, alias: str, kind: str | None) -> DataFrame:
-        """Joins the node's attributes that are filtered or returned; a node that isn't there keeps its walk, with NULLs, and
-        fails all predicates."""
-        wanted = self._wanted(plan, alias)
+    def _attach(self, df: DataFrame, plan: Plan, alias: str, kind: str | None, have: set[str] = frozenset()) -> DataFrame:
+        """Joins the node's attributes that are filtered or returned, but for those that the edges had; a node that isn't
+        there keeps its walk, with NULLs, and fails all predicates."""
+        wanted = {n: of for n, of in self._wanted(plan, alias).items() if n not in have}
         if wanted:
             nodes = self.graph.node_frame(kind, wanted)
-            if self._filters(plan, alias):
-                nodes = self._filtered(nodes, plan, alias) if not self.compat else nodes
-            inner = self._filters(plan, alias) and not self.compat
+            inner = any(n.startswith(("eq.", "has.")) for n in wanted) and not self.compat
+            if inner:
+                nodes = self._filtered(nodes, plan, alias)
             df = df.join(nodes, df["cur"] == nodes["id"], "inner" if inner else "left").drop("id")
             if self.compat:
                 df = self._filtered(df, plan, alias)
@@ -160,14 +167,16 @@ class Compiler:
         return any(e.alias == alias and e.key != "id" for e in plan.eqs) or any(h.alias == alias for h in plan.has)
 
     def _filtered(self, df: DataFrame, plan: Plan, alias: str) -> DataFrame:
+        """The rows that satisfy those of the alias's predicates whose columns are here; the columns go."""
+        here = set(df.columns)
         for e in plan.eqs:
-            if e.alias == alias and e.key != "id":
+            if e.alias == alias and f"eq.{alias}.{e.key}" in here:
                 column = F.col(f"`eq.{alias}.{e.key}`").cast("string")
                 if self.compat:
                     column = F.coalesce(column, F.lit(""))
                 df = df.where(column.isin(list(e.values)) if len(e.values) != 1 else column == e.values[0])
         for h in plan.has:
-            if h.alias == alias:
+            if h.alias == alias and f"has.{alias}.{h.key}" in here:
                 column = F.col(f"`has.{alias}.{h.key}`")
                 found = column.isNotNull() & (column != "null")
                 if h.kind is not None:

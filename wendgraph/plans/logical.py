@@ -53,6 +53,8 @@ class Plan:
     eqs: tuple[Eq, ...] = ()
     has: tuple[Has, ...] = ()
     returns: tuple[Return, ...] = ()
+    order: tuple[tuple[Return, bool], ...] = ()  # returned values, and whether downwards
+    limit: int | None = None
 
     def but(self, **changes) -> Plan:
         return replace(self, **changes)
@@ -72,4 +74,7 @@ class Plan:
         for x in (*self.eqs, *self.has):
             if x.alias in edges:
                 raise PlanError(f"{x.alias!r} is an edge: filter it by weight")
+        for r, _ in self.order:
+            if r not in self.returns:
+                raise PlanError(f"order by {r.name!r}, which isn't returned")
         return self
