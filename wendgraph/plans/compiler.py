@@ -20,17 +20,18 @@ COMPAT_LIMIT = 1000
 def weight_filter(df: DataFrame, weights: tuple[tuple[str, float], ...], compat: bool) -> DataFrame:
     """Edges whose weight, to four decimals, satisfies all comparisons. A bare bound on the column goes first: it follows
     from the rounded one and reaches the scan."""
+    conditions = []
     for op, x in weights:
+        x = float(x)
         if compat:
-            df = df.where(keys.format_weight("weight") >= keys.format_weight(F.lit(float(x))))
+            conditions.append(f"format_string('%012.4f', weight) >= format_string('%012.4f', double('{x}'))")
             continue
-        w, q = keys.quantized("weight"), keys.quantized(F.lit(float(x)))
         if op in (">=", ">", "="):
-            df = df.where(F.col("weight") >= F.lit(x - 0.0001))
+            conditions.append(f"weight >= double('{x - 0.0001}')")
         if op in ("<=", "<", "="):
-            df = df.where(F.col("weight") <= F.lit(x + 0.0001))
-        df = df.where({">=": w >= q, ">": w > q, "=": w == q, "<=": w <= q, "<": w < q}[op])
-    return df
+            conditions.append(f"weight <= double('{x + 0.0001}')")
+        conditions.append(f"round(weight, 4) {op} round(double('{x}'), 4)")
+    return df.where(" AND ".join(conditions)) if conditions else df
 
 
 def capped(df: DataFrame, limit: int, compat: bool = False) -> DataFrame:
