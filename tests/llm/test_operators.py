@@ -38,12 +38,24 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     empty = df.limit(0)
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6"), (2, None), (None, "")], "item_id long, text string")
     labels = spark.createDataFrame([(4, 1, 1), (3, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    found = {}
     for f in (neardup.near_duplicates, licenses.scan, pii.find, language.identify, substrings.remove_repeats, media.round_trip):
-        assert f(df).count() == len(rows), f
+        found[f] = f(df).collect()
+        assert len(found[f]) == len(rows), f
         assert f(empty).count() == 0, f
+    of = lambda f, c: {r["doc_id"]: r[c] for r in found[f]}
+    group = of(neardup.near_duplicates, "class_id")
+    assert group[0] == group[1] == 0 and group[2] == 2 and group[4] == group[5] == group[None] == 4 and all(group[i] == i for i in (3, 6, 7, 8, 9, 10, 11))
+    assert set(of(licenses.scan, "licenses").values()) == {""}
+    spans = of(pii.find, "n_email")
+    assert all(spans[i] == 0 for i in spans)
+    assert {i for i, x in of(language.identify, "lang_pred").items() if x == "und"} == {i for i, _ in rows}  # nothing to learn from
+    removed, n = of(substrings.remove_repeats, "n_removed"), of(substrings.remove_repeats, "n_words")
+    assert {i: removed[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 11, None)} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 80, 5: 80, 6: 0, 7: 0, 8: 80, 11: 80, None: 80} and n[6] == 30000
+    assert of(media.round_trip, "payload_bytes")[0] == of(media.round_trip, "payload_bytes")[1] == 64
     model = toxicity.train(df, labels)
     assert toxicity.score(df, model).count() == len(rows) and toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
-    assert decontamination.matches(df, bench).count() >= 0 and decontamination.matches(empty, bench.limit(0)).count() == 0
+    assert decontamination.matches(df, bench).count() == 0 and decontamination.matches(empty, bench.limit(0)).count() == 0
     assert packing.pack(df).select("doc_id").where("start = 0").count() == len(rows) and packing.pack(empty).count() == 0
     assert pii.redact(df).columns == df.columns and neardup.one_of_each(df).columns == df.columns
 
