@@ -175,8 +175,9 @@ def _labels(t: Tokens, text: str, spans: list[tuple[str, int, int]], weak: bool)
     assigned to a telling name, and other for the rest; else -1 for the rest."""
     out = np.full(len(t.text), 0 if weak else -1)
     starts, ends = np.array(t.start, np.int64), np.array(t.end, np.int64)
-    for kind, a, b in spans:
-        out[(starts < b) & (ends > a)] = LABELS.index(kind)
+    at = np.array([(a, b) for _, a, b in spans], np.int64).reshape(-1, 2)
+    for (kind, *_), i, j in zip(spans, np.searchsorted(ends, at[:, 0], "right").tolist(), np.searchsorted(starts, at[:, 1], "left").tolist()):
+        out[i:j] = LABELS.index(kind)
     if weak:
         assigned = (t.feature[:, 15] > 0) & (t.feature[:, 11] > 0)
         out[assigned & (out == 0)] = LABELS.index("secret")
